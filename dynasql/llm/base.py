@@ -70,3 +70,9 @@ def drop(df: DataFrame) -> None:
     if path:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal small but costly rows to as many tasks as a shuffle has, at least one for each core."""
+    conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
+    return df.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism), *columns)

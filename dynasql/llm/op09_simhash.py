@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_digest
 
 from .base import cut, documents
 from .pigeonhole import hamming_components
@@ -30,16 +30,16 @@ WIDTH, DISTANCE, SEED = 4, 4, 42
 LANE = 255
 
 
-def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, most significant first.
+def bit_counts(digests: bytes) -> np.ndarray:
+    """How many of the 8-byte big-endian hashes have each bit, most significant first.
 
     The 64 bits of a hash become 64 bytes, added as eight 64-bit numbers: eight
     counters at a time, over no more than 255 hashes.
     """
     total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 128 * LANE):
-        part = hashes[i : i + 128 * LANE].byteswap().view(np.uint8)
-        lanes = np.unpackbits(part).view(np.uint64).reshape(-1, 8)
+    packed = np.frombuffer(digests, np.uint8)
+    for i in range(0, len(packed), 128 * LANE * 8):
+        lanes = np.unpackbits(packed[i : i + 128 * LANE * 8]).view(np.uint64).reshape(-1, 8)
         for j in range(0, len(lanes), LANE):
             total += np.add.reduce(lanes[j : j + LANE], axis=0).view(np.uint8)
     return total
@@ -51,9 +51,8 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     if not words:
         return 0
     shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), np.uint64, n)
-    bits = bit_counts(hashes) * 2 > n
+    digests = b"".join(map(xxh64_digest, map(b" ".join, shingles), repeat(SEED)))
+    bits = bit_counts(digests) * 2 > len(digests) // 8
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op01_packing import op1_packing
+from .op05_secrets import op5_secrets
+from .op06_lines import op6_lines
+from .op07_mixing import op7_mixing
 from .op09_simhash import op9_simhash
 from .op10_quality import op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op5_secrets": op5_secrets,
+    "op6_lines": op6_lines,
+    "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import folder
 from ..sql.engine import Engine
-from .sql_queries import QUERIES
+from . import api_queries, sql_queries
 
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,8 +16,8 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(text) for name, (text, _) in QUERIES.items()}
+    return {name: _run(text) for name, (text, _) in sql_queries.QUERIES.items()} | {name: run for name, (run, _) in api_queries.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: check or text for name, (text, check) in QUERIES.items()}
+    return {name: check or text for name, (text, check) in sql_queries.QUERIES.items()} | {name: check for name, (_, check) in api_queries.QUERIES.items() if check}

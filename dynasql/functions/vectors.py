@@ -80,4 +80,4 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
         start = F.octet_length(F.substring(text, F.lit(1), i * step))
         return F.struct(i.alias("index"), start.alias("start"), (start + F.octet_length(part)).alias("end"), part.alias("text"))
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<struct<index:int,start:int,end:int,text:string>>"))
+    return F.when(F.coalesce(n > 0, F.lit(False)), F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<struct<index:int,start:int,end:int,text:string>>"))

@@ -58,7 +58,7 @@ def signatures(v: Column, hyperplanes: list[list[list[float]]]) -> Column:
     return F.array(*(bucket(t) for t in hyperplanes))
 
 
-def ann_batch(df: DataFrame, queries: DataFrame, k: int, size: int, *, metric: str = "l2", bits: int = 4, tables: int = 12, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ann_batch(df: DataFrame, queries: DataFrame, k: int, size: int, *, metric: str = "l2", bits: int = 4, tables: int = 24, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate k nearest: rows that share a bucket with the query in any table, then exact distances."""
     h = planes(size, bits, tables)
     rows = df.select(F.col(id), F.col(vector), F.posexplode(signatures(F.col(vector), h)).alias("t", "b"))

@@ -226,12 +226,15 @@ class Engine:
             out.append(unique)
         return out
 
-    def rows(self, rows: list[list[tuple]], params) -> DataFrame:
+    def rows(self, rows: list[list[tuple]], params, forms: list | None = None) -> DataFrame:
+        """VALUES; forms, one for each column, turn a value into a column of one type."""
         comp = Compiler(self, [], {}, params)
+        if any(len(r) != len(rows[0]) for r in rows):
+            raise SqlError("all VALUES must have the same number of terms")
         columns = []
-        for column in zip(*rows, strict=True):
-            cs, _ = V.common([comp.value(x) for x in column])
-            columns.append(cs)
+        for j, column in enumerate(zip(*rows, strict=True)):
+            vs = [comp.value(x) for x in column]
+            columns.append([forms[j](v) for v in vs] if forms and j < len(forms) else V.common(vs)[0])
         n = len(columns)
         each = F.array(*(F.struct(*(columns[j][i].alias(f"column{j + 1}") for j in range(n))) for i in range(len(rows))))
         return self.spark.range(1).select(F.explode(each).alias("r")).select("r.*")
@@ -483,6 +486,8 @@ class Compiler:
         held = lambda c: c if keep is None else F.when(keep, c)
         if name == "count" and (star or not args):
             return Value(F.count(held(F.lit(1))), "int")
+        if not 1 <= len(args) <= 1 + (name in ("group_concat", "string_agg")):
+            raise SqlError(f"wrong number of arguments to function {name}()")
         v = self.value(args[0])
         if v.kind == "null":
             v = Value(F.lit(None).cast("long"), "int")

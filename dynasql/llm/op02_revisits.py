@@ -44,9 +44,10 @@ def canonical(url: Column) -> Column:
 
 
 def lowered(headers: Column) -> Column:
-    """Headers by lower-case name; of names that differ in case only, the first."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    names = F.transform(F.map_keys(headers), lambda k: F.lower(k))
+    """Headers by lower-case name; of names that differ in case only, the first in byte order."""
+    held = F.array_sort(F.map_entries(headers))
+    entries = F.transform(held, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(held, lambda e: F.lower(e["key"]))
     once = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
     return F.coalesce(F.map_from_entries(once), F.create_map().cast("map<string,string>"))
 

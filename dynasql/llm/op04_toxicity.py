@@ -122,7 +122,7 @@ class Weights(dict):
         self.table = table
 
     def __missing__(self, word: str) -> float:
-        best = max((self.table[f] for f in features(word) if f in self.table), key=lambda x: x[1], default=(DRIFT, 0.0))[0]
+        best = max((self.table[f][0] for f in features(word) if f in self.table), default=DRIFT)
         if len(self) < self.MOST:
             self[word] = best
         return best
@@ -182,7 +182,7 @@ class Model:
 
 
 def log_odds(counts: list[tuple[int, int, int]], toxic_docs: int, clean_docs: int) -> dict[int, tuple[float, float]]:
-    """feature -> (log-odds, z) for rows (feature, clean, toxic) with clear evidence."""
+    """feature -> (cautious log-odds, z) for rows (feature, clean, toxic) with clear evidence."""
     out = []
     least = max(LEAST_Z, math.sqrt(2 * math.log(max(1, len(counts)))))  # what the best of so many would show by chance
     for f, clean, toxic in counts:
@@ -191,7 +191,7 @@ def log_odds(counts: list[tuple[int, int, int]], toxic_docs: int, clean_docs: in
         delta = math.log(a / (toxic_docs + PRIOR - min(a, toxic_docs + PRIOR - 0.5))) - math.log(b / (clean_docs + PRIOR - min(b, clean_docs + PRIOR - 0.5)))
         z = delta / math.sqrt(1 / a + 1 / (b + 0.5))
         if z >= least and delta >= LEAST_ODDS:
-            out.append((f, min(delta, 8.0), z))
+            out.append((f, min(delta - delta / z, 8.0), z))  # a standard error below the estimate
     out.sort(key=lambda x: (-x[2], x[0]))
     return {f: (d, z) for f, d, z in out[:FEATURES]}
 

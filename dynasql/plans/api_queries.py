@@ -83,9 +83,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _script(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..sources.shared import shared_folder
-
-        return Database(spark, folder(spark, sf_dir), shared_folder(spark)).execute(text)[-1]
+        return Database(spark, folder(spark, sf_dir)).execute(text)[-1]
 
     return run
 

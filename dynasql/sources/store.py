@@ -8,7 +8,6 @@ transaction is a saved copy of the pointers.
 from __future__ import annotations
 
 import copy
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.values import Value
 from ..sql.parser import SqlError
+from .shared import shared_folder
 
 SPARK_TYPE = {"int": "long", "real": "double", "numeric": "double", "text": "string", "blob": "string"}
 
@@ -58,7 +58,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None):
         self.spark = spark
-        self.warehouse = warehouse or f"file://{tempfile.mkdtemp(prefix='tables-')}"
+        self.warehouse = warehouse or shared_folder(spark)
         self.tables: dict[str, TableDef] = {}
         self.saved: dict[str, TableDef] | None = None
         self.last_rowid, self.version = 0, 0

@@ -160,24 +160,33 @@ class Pair:
         return out
 
 
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a small table as arrays, moved as Arrow: rows as objects would take ten times the driver's memory."""
+    table = df.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
 def fit(docs: DataFrame, target_ids: DataFrame) -> Pair:
     """Both models from all rows of docs; target_ids (doc_id) names the target."""
     words = docs.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    vocabulary = words.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas().h.to_numpy(np.int64)
+    vocabulary = collected(words.orderBy(F.desc("n"), "h").limit(VOCABULARY))["h"].astype(np.int64)
     own = target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("own", F.lit(True))
     rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
     counts = rows.mapInArrow(_counter(vocabulary), "key long, rest long, target long").groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("target").alias("target"))
     counts = cut(counts.filter((F.col("key") < 0) | (F.col("rest") + F.col("target") >= LEAST)))
     size = len(vocabulary) + 1
     single = np.zeros((2, size + 1), np.int64)
-    ones = counts.filter("key < 0").toPandas()
-    places = -1 - ones.key.to_numpy(np.int64)
-    single[0, places], single[1, places] = ones.target, ones.target + ones.rest
+    ones = collected(counts.filter("key < 0"))
+    places = -1 - ones["key"].astype(np.int64)
+    single[0, places], single[1, places] = ones["target"], ones["target"] + ones["rest"]
     total = F.col("rest") + F.col("target")
-    sizes = counts.filter("key >= 0").groupBy(total.alias("n")).agg(F.count("*").alias("keys")).toPandas().sort_values("n", ascending=False)  # as many rows as counts differ
-    least = sizes.n[sizes["keys"].cumsum() <= BIGRAMS].min() if len(sizes) else LEAST
-    top = counts.filter((F.col("key") >= 0) & (total >= F.lit(int(least) if least == least else 1 << 62))).toPandas().sort_values("key")
-    return Pair(vocabulary, single, top.key.to_numpy(np.int64), np.array([top.target, top.target + top.rest]))
+    sizes = collected(counts.filter("key >= 0").groupBy(total.alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")))  # as many rows as counts differ
+    fitting = sizes["n"][np.cumsum(sizes["m"]) <= BIGRAMS]
+    least = int(fitting.min()) if len(fitting) else 1 << 62
+    top = collected(counts.filter((F.col("key") >= 0) & (total >= F.lit(least))))
+    order = np.argsort(top["key"])
+    keys, target, rest = (top[c][order].astype(np.int64) for c in ("key", "target", "rest"))
+    return Pair(vocabulary, single, keys, np.array([target, target + rest]))
 
 
 def lm_scores(docs: DataFrame, models: Pair) -> DataFrame:

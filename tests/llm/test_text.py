@@ -220,6 +220,37 @@ def test_lines(spark, corpus):
     assert fuzzy.drop_repeats(docs).columns == docs.columns
 
 
+def test_lines_whole_recall(spark, corpus):
+    """Near copies by ungated edit similarity, of every length, are removed."""
+    import random
+
+    rnd = random.Random(4)
+    norm = lambda t: " ".join(w for w in re.sub("[\t\r\x0b\x0c]", " ", t).lower().split(" ") if w)
+    base = sorted({norm(x) for t in corpus for x in (t or "").split("\n") if 10 <= len(norm(x)) <= 600})
+    groups = [[x for x in base if lo <= len(x) < hi] for lo, hi in ((15, 30), (30, 60), (60, 120), (120, 300), (300, 600))]
+    chosen = [x for g in groups for x in rnd.sample(g, min(30, len(g)))]
+
+    def letter(x):
+        i = rnd.randrange(len(x))
+        return x[:i] + "q" + x[i:]
+
+    def word(x):
+        w = x.split(" ")
+        w[rnd.randrange(len(w))] = "other"
+        return " ".join(w)
+
+    pairs = [(x, y) for x in chosen for y in (letter(x), word(x)) if x != y and brute_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9]
+    n = len(pairs)
+    docs = table(spark, [x for x, _ in pairs] + [y for _, y in pairs])
+    kept = {r.doc_id: r.kept for r in fuzzy.kept_lines(docs, whole=True).collect()}
+    assert n > 150
+    assert sum(n + i in kept for i in range(n)) <= 0.1 * n
+    short = [i for i, (x, _) in enumerate(pairs) if len(x) < 60]
+    assert sum(n + i in kept for i in short) <= 0.1 * len(short)
+    unlike = table(spark, ["alpha beta gamma delta", "one two three four five", "x"])
+    assert fuzzy.kept_lines(unlike, whole=True).count() == 3
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

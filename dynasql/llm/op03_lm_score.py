@@ -6,10 +6,13 @@ interpolated with smoothed unigrams), after Moore and Lewis (2010). Each text's
 tokens get both losses; their mean difference scores the text, and the lower it
 is, the more the text is like the target.
 
-Counts cover all tokens of all rows. They are made in numpy, summed by task and
-then by key, so a hot source or word is a few rows for each task. What a worker
-holds is bounded: VOCABULARY words and BIGRAMS bigrams, the most frequent ones;
-other words are one unknown word, other bigrams back off to their words.
+Counts cover all tokens of all rows, and the models hold every word and every
+bigram that occurs LEAST times, in tables dealt by hash. A token's loss is that
+of its word, that of backing off from the word before, and for a bigram of the
+models a correction; a text's distinct words and bigrams, with their numbers,
+meet these in one join, and the driver gets three totals only.
+
+Words are known by 63-bit hashes, as are bigrams; texts by a 64-bit hash.
 
 Defined results: a null or blank text has no tokens, losses of 0 and difference
 0; target ids without a document, null ids and repeats of an id change nothing;
@@ -20,7 +23,6 @@ read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import cut, documents
+from .base import cut, documents, word_count
 
-#: Words and bigrams of the models, at most; least count of a bigram.
-VOCABULARY, BIGRAMS, LEAST = 65_000, 1_000_000, 3
+#: Least count of a bigram.
+LEAST = 3
 #: Smoothing: discount of bigrams, added count of unigrams.
 DISCOUNT, ADDED = 0.75, 0.5
-#: Bigrams that a task gathers before it sums them, and words it remembers.
-GATHER, REMEMBER = 4_000_000, 300_000
+#: Tokens that a task gathers before it sums them, words it remembers, and rows of a batch it returns.
+GATHER, REMEMBER, ROWS = 4_000_000, 300_000, 500_000
+#: What stands before the first word; what stands before the counts of single words.
+START, SINGLE = -1, -2
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -47,167 +51,140 @@ def word_hash(word: bytes) -> int:
     return xxh64_intdigest(word) >> 1
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        hashes, counts = [word_hash(w) for w in seen], list(seen.values())
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(counts, pa.int64())], ["h", "n"])
-
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            seen.update(tokens(text.as_py() or b""))
-            if len(seen) > 3 * REMEMBER:
-                yield flush()
-    yield flush()
-
-
-class Ids(dict):
-    """Place of each word in the vocabulary; the unknown word's for others."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.place = {int(h): i for i, h in enumerate(vocabulary)}
-        self.unknown = len(vocabulary)
+class Hashes(dict):
+    """Hash of each word, remembered for some."""
 
     def __missing__(self, word: bytes) -> int:
-        i = self.place.get(word_hash(word), self.unknown)
+        h = word_hash(word)
         if len(self) < REMEMBER:
-            self[word] = i
-        return i
+            self[word] = h
+        return h
 
     def of(self, text: bytes | None) -> np.ndarray:
         words = tokens(text or b"")
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def bigram_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """(previous, word) as one number; before the first word stands `size`."""
-    return np.concatenate([[size], ids[:-1]]) * (size + 1) + ids if len(ids) else ids
-
-
-def _counter(vocabulary: np.ndarray):
-    """Counts by key: bigrams of known words from 0, single words as -1 - word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Ids(vocabulary)
-        size = coder.unknown + 1
-        single = np.zeros((2, size + 1), np.int64)
-        pairs: list[list[np.ndarray]] = [[], []]
-
-        def flush() -> pa.RecordBatch:
-            keys = [np.unique(np.concatenate(p) if p else np.zeros(0, np.int64), return_counts=True) for p in pairs]
-            every = np.union1d(keys[0][0], keys[1][0])
-            counts = np.zeros((2, len(every)), np.int64)
-            for i, (k, n) in enumerate(keys):
-                counts[i, np.searchsorted(every, k)] = n
-                pairs[i].clear()
-            return pa.RecordBatch.from_arrays([pa.array(every), pa.array(counts[0]), pa.array(counts[1])], ["key", "rest", "target"])
-
-        held = 0
-        for batch in batches:
-            for text, own in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                ids = coder.of(text.as_py())
-                if not len(ids):
-                    continue
-                np.add.at(single[int(own)], ids, 1)
-                single[int(own)][size] += 1  # a beginning
-                keys = bigram_keys(ids, size)
-                keys = keys[(ids != coder.unknown) & (keys // (size + 1) != coder.unknown)]
-                pairs[int(own)].append(keys)
-                held += len(keys)
-                if held >= GATHER:
-                    yield flush()
-                    held = 0
+def before(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([[START], ids[:-1]]) if len(ids) else ids
+
+
+def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A negative number for each (previous, word); words' hashes are positive."""
+    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)).view(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, b, w, rest, target): counts of bigrams, and of single words and starts under SINGLE."""
+    coder = Hashes()
+    held: list[list[np.ndarray]] = [[], []]
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words = [np.concatenate(h) if h else np.zeros(0, np.int64) for h in held]
+        previous = [np.concatenate([before(x) for x in h]) if h else np.zeros(0, np.int64) for h in held]
+        starts = [np.full(len(h), START) for h in held]
+        for h in held:
+            h.clear()
+        both, own = np.concatenate(words), np.repeat([0, 1], [len(x) for x in words])
+        ahead = np.concatenate(previous)
+        every = np.concatenate([both, *starts])
+        whose = np.concatenate([own, np.repeat([0, 1], [len(x) for x in starts])])
+        for keys, b, w, o in ((bigram_keys(ahead, both), ahead, both, own), (every, np.full(len(every), SINGLE), every, whose)):
+            unique, place, at = np.unique(keys, return_index=True, return_inverse=True)
+            counts = [np.bincount(at[o == i], minlength=len(unique)) for i in (0, 1)]
+            for i in range(0, len(unique), ROWS):
+                part = slice(i, i + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (b[place], w[place], *counts)], ["b", "w", "rest", "target"])
+
+    for batch in batches:
+        for text, own in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+            ids = coder.of(text.as_py())
+            if len(ids):
+                held[int(own)].append(ids)
+                size += len(ids)
+            if size >= GATHER:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, key, n, m) for each text: how often a word or bigram occurs, and how often before a word."""
+    coder = Hashes()
+    out: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["th", "key", "n", "m"])
+
+    for batch in batches:
+        for th, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            ids = coder.of(text.as_py())
+            if not len(ids):
+                continue
+            words, at = np.unique(np.concatenate([ids, before(ids)]), return_inverse=True)
+            pairs, counts = np.unique(bigram_keys(before(ids), ids), return_counts=True)
+            n = np.concatenate([np.bincount(at[: len(ids)], minlength=len(words)), counts])
+            m = np.concatenate([np.bincount(at[len(ids) :], minlength=len(words)), np.zeros(len(pairs), np.int64)])
+            out.append((np.full(len(n), th), np.concatenate([words, pairs]), n, m))
+            size += len(n)
+            if size >= ROWS:
+                yield flush()
+                size = 0
+    if out:
         yield flush()
-        places = np.flatnonzero(single.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - places), pa.array(single[0][places]), pa.array(single[1][places])], ["key", "rest", "target"])
-
-    return run
-
-
-class Pair:
-    """Both models: log-probabilities of kept bigrams, and back-off by word."""
-
-    def __init__(self, vocabulary: np.ndarray, single: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        """single: (2, words + 2) counts; keys sorted; counts: (2, keys). Row 0 is the target."""
-        self.vocabulary, self.keys = vocabulary, keys
-        size = len(vocabulary) + 1
-        before = keys // (size + 1)
-        word = keys % (size + 1)
-        self.words, self.back, self.pairs = [], [], []
-        for one, many in zip(single.astype(float), counts.astype(float), strict=True):
-            p = (one[:size] + ADDED) / (one[:size].sum() + ADDED * size)
-            context = np.maximum(one, 1.0)  # a word's count stands for its count as a context
-            kept = np.maximum(many - DISCOUNT, 0) / np.maximum(context[before], np.bincount(before, many, size + 1)[before])
-            rest = np.clip(1 - np.bincount(before, kept, size + 1), 1e-6, 1)
-            self.words.append(np.log(p).astype(np.float32))
-            self.back.append(np.log(rest).astype(np.float32))
-            self.pairs.append(np.log(kept + rest[before] * p[word]).astype(np.float32))
-
-    def losses(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Each token's loss by the target's and by the background's model."""
-        size = len(self.vocabulary) + 1
-        keys = bigram_keys(ids, size)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        out = []
-        for words, back, pairs in zip(self.words, self.back, self.pairs, strict=True):
-            loss = -(words[ids] + back[keys // (size + 1)])
-            loss[hit] = -pairs[at[hit]]
-            out.append(loss)
-        return out
-
-
-def collected(df: DataFrame) -> dict[str, np.ndarray]:
-    """Columns of a small table as arrays, moved as Arrow: rows as objects would take ten times the driver's memory."""
-    table = df.toArrow()
-    return {name: table[name].to_numpy() for name in table.column_names}
-
-
-def fit(docs: DataFrame, target_ids: DataFrame) -> Pair:
-    """Both models from all rows of docs; target_ids (doc_id) names the target."""
-    words = docs.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    vocabulary = collected(words.orderBy(F.desc("n"), "h").limit(VOCABULARY))["h"].astype(np.int64)
+
+
+def _bigram_table(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        b, w = (batch.column(i).to_numpy() for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(bigram_keys(b, w)), *batch.columns[2:]], ["key", "word_t", "word_a"])
+
+
+def fit(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """Both models from all rows of docs; target_ids (doc_id) names the target.
+
+    (key, word_t, word_a, back_t, back_a): what each occurrence of a word or
+    bigram adds to the target's and to all documents' loss, and each before a word.
+    """
     own = target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("own", F.lit(True))
     rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
-    counts = rows.mapInArrow(_counter(vocabulary), "key long, rest long, target long").groupBy("key").agg(F.sum("rest").alias("rest"), F.sum("target").alias("target"))
-    counts = cut(counts.filter((F.col("key") < 0) | (F.col("rest") + F.col("target") >= LEAST)))
-    size = len(vocabulary) + 1
-    single = np.zeros((2, size + 1), np.int64)
-    ones = collected(counts.filter("key < 0"))
-    places = -1 - ones["key"].astype(np.int64)
-    single[0, places], single[1, places] = ones["target"], ones["target"] + ones["rest"]
-    total = F.col("rest") + F.col("target")
-    sizes = collected(counts.filter("key >= 0").groupBy(total.alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")))  # as many rows as counts differ
-    fitting = sizes["n"][np.cumsum(sizes["m"]) <= BIGRAMS]
-    least = int(fitting.min()) if len(fitting) else 1 << 62
-    top = collected(counts.filter((F.col("key") >= 0) & (total >= F.lit(least))))
-    order = np.argsort(top["key"])
-    keys, target, rest = (top[c][order].astype(np.int64) for c in ("key", "target", "rest"))
-    return Pair(vocabulary, single, keys, np.array([target, target + rest]))
-
-
-def lm_scores(docs: DataFrame, models: Pair) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference), means over a text's tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = shared.value
-        coder = Ids(pair.vocabulary)
-        for batch in batches:
-            out = []
-            for text in batch.column(1).cast(pa.binary()):
-                ids = coder.of(text.as_py())
-                a, b = (float(x.mean(dtype=np.float64)) if len(x) else 0.0 for x in pair.losses(ids))
-                out.append((len(ids), a, b, a - b))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+    counts = rows.mapInArrow(_count, "b long, w long, rest long, target long").groupBy("b", "w").agg(F.sum("target").alias("t"), F.sum(F.col("rest") + F.col("target")).alias("a"))
+    counts = cut(counts.filter((F.col("b") == SINGLE) | (F.col("a") >= LEAST)))
+    single, pairs = counts.filter(F.col("b") == SINGLE).drop("b"), counts.filter(F.col("b") != SINGLE)
+    sums = single.filter(F.col("w") != START).agg(F.count("*").alias("v"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "ta")).first()
+    mass = pairs.groupBy(F.col("b").alias("w")).agg(*(f.alias(f"{name}_{x}") for x in "ta" for name, f in (("all", F.sum(x)), ("mass", F.sum(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)))))))
+    words = single.join(mass, "w", "left").fillna(0, [f"{name}_{x}" for name in ("all", "mass") for x in "ta"])
+    for x in "ta":
+        words = words.withColumn(f"p_{x}", (F.col(x) + ADDED) / F.lit(float(sums[x] + ADDED * (sums["v"] + 1))))
+        words = words.withColumn(f"d_{x}", F.greatest(F.col(x), F.lit(1), F.col(f"all_{x}")))
+        words = words.withColumn(f"rest_{x}", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.col(f"mass_{x}") / F.col(f"d_{x}"))))
+    words = cut(words.select("w", *(f"{name}_{x}" for name in ("p", "d", "rest") for x in "ta")))
+    known = pairs.join(words.select(F.col("w").alias("b"), "d_t", "d_a", "rest_t", "rest_a"), "b").join(words.select("w", "p_t", "p_a"), "w")
+    gain = [(-F.log1p(F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(f"d_{x}") / (F.col(f"rest_{x}") * F.col(f"p_{x}")))).alias(f"word_{x}") for x in "ta"]
+    gains = known.select("b", "w", *gain).mapInArrow(_bigram_table, "key long, word_t double, word_a double")
+    ones = words.select(F.col("w").alias("key"), *((-F.log(f"p_{x}")).alias(f"word_{x}") for x in "ta"), *((-F.log(f"rest_{x}")).alias(f"back_{x}") for x in "ta"))
+    return cut(ones.unionByName(gains.withColumns({"back_t": F.lit(0.0), "back_a": F.lit(0.0)})))
+
+
+def lm_scores(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference), means over a text's tokens.
+
+    Copies of a text share one hash, so their terms are summed together: their means are the same.
+    """
+    terms = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(_terms, "th long, key long, n long, m long")
+    loss = {x: F.sum(F.col("n") * F.col(f"word_{x}") + F.col("m") * F.col(f"back_{x}")) for x in "ta"}
+    tokens = F.sum(F.when((F.col("key") >= 0), F.col("n")).otherwise(0))
+    means = terms.join(models, "key").groupBy("th").agg((loss["t"] / tokens).alias("target_loss"), (loss["a"] / tokens).alias("background_loss"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), word_count(F.col("text")).alias("n_tokens")).join(means, "th", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("target_loss", "background_loss")})
+    return rows.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,18 @@ def test_language_models(spark, monkeypatch):
     assert lm.lm_scores(empty, lm.fit(empty, target)).count() == 0
 
 
+def test_language_models_keep_every_word(spark):
+    """A bigram of words rarer than 70,000 others has its own loss."""
+    many = " ".join(f"w{i}" for i in range(70_000))
+    texts = [many] * 4 + ["zeta yota"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: r for r in lm.lm_scores(docs, lm.fit(docs, docs.filter("doc_id >= 4"))).collect()}
+    p = 3.5 / (4 * 70_000 + 6 + 0.5 * 70_003)
+    want = -(math.log(2.25 / 7 + (1 - 5.5 / 7) * p) + math.log(0.75 + 0.25 * p)) / 2
+    assert rows[4].n_tokens == 2 and math.isclose(rows[4].background_loss, want, rel_tol=1e-6)
+    assert rows[4].difference < 0 < rows[0].difference
+
+
 def brute_segments(scores):
     """Maximal segments by their definition: best run, then what is left of it and right of it."""
     best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0,) * 4)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .base import cut, documents
+from .base import BLANKS, SPACES, cut, documents
 
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -68,14 +68,10 @@ def _hash(feature: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sketch(text: Column) -> Column:
-    """The two smallest hashes of a text's words: copies and most near copies share them.
-
-    Of the fitted documents with equal sketches one counts, so a document with
-    thousands of copies does not make its own words look toxic or clean.
-    """
-    hashes = F.sort_array(F.array_distinct(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \n]+"), lambda w: F.xxhash64(w))))
-    return F.xxhash64(F.slice(hashes, 1, 2))
+def copies(text: Column) -> Column:
+    """Two hashes of a text's words in lower case: the fitted documents of a label with equal ones are copies and count as one."""
+    words = F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), SPACES)
+    return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit(1), words).alias("b"))
 
 
 def _words(text: str | None) -> list[str]:
@@ -232,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         part = own.filter(F.col("label") == label).orderBy(order, "doc_id").limit(FIT_ROWS)
         few = part if few is None else few.union(part)
     ids = docs.sparkSession.createDataFrame(few.toPandas().astype({"label": "int32"}), own.schema)  # 2 FIT_ROWS ids at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(sketch(F.col("text")).alias("s"), "label").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(copies(F.col("text")).alias("s"), "label").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
     rows = cut(rows.drop("s"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)) < 7
     first, second = rows.filter(part).select("text", "label"), rows.filter(~part).select("text", "label")

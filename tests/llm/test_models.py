@@ -136,6 +136,17 @@ def test_segments_match_their_definition():
     assert toxicity.segments(np.full(200_000, 0.5))[0][1:] == (0, 200_000)
 
 
+def test_toxicity_fits_on_texts_that_share_common_words(spark):
+    common = " ".join(f"c{i}" for i in range(300))
+    texts = [f"{common} own{i} {'badword' if i % 2 else 'fineword'}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    table = toxicity.fit(docs, labels).table
+    assert toxicity.features("badword")[0] in table and toxicity.features("fineword")[0] not in table
+    same = spark.createDataFrame([("A b\n c",), (" a  b c ",), ("a b d",)], "t string").select(toxicity.copies(F.col("t")).alias("k")).collect()
+    assert same[0] == same[1] != same[2]
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

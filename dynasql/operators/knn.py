@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Queries of a batch that are sent to every task, at most.
+#: Queries of a block, which is sent to every task; about so many at most.
 MOST_QUERIES = 10_000
 
 
@@ -24,11 +27,12 @@ def distance_to(df: DataFrame, query: list[float], key, *, metric: str = "l2", i
     return df.filter(F.col(id) == F.lit(key)).select(F.col(id), V.distance(metric, F.col(vector), V.vector(query)).alias("distance"))
 
 
-def _checked(queries: DataFrame) -> DataFrame:
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"a batch takes at most {MOST_QUERIES} queries; split it")
-    return F.broadcast(queries)
+def _by_block(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(block) for all blocks of queries; all rows of a query_id are in one block."""
+    n = -(-queries.count() // MOST_QUERIES)
+    place = F.pmod(F.xxhash64("query_id"), F.lit(max(n, 1)))
+    blocks = [queries.filter(place == i) for i in range(n)] if n > 1 else [queries]
+    return reduce(DataFrame.union, map(answer, blocks))
 
 
 def _best(df: DataFrame, k: int, id: str) -> DataFrame:
@@ -37,9 +41,13 @@ def _best(df: DataFrame, k: int, id: str) -> DataFrame:
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each query (query_id, q) its k nearest rows. The batch is of checked size."""
-    met = df.select(F.col(id), F.col(vector)).join(_checked(queries.select("query_id", "q")))
-    return _best(met.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
+    """For each query (query_id, q) its k nearest rows."""
+
+    def answer(block: DataFrame) -> DataFrame:
+        met = df.select(F.col(id), F.col(vector)).join(F.broadcast(block))
+        return _best(met.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
+
+    return _by_block(queries.select("query_id", "q"), answer)
 
 
 def planes(size: int, bits: int, tables: int, seed: int = 5) -> list[list[list[float]]]:
@@ -62,9 +70,13 @@ def ann_batch(df: DataFrame, queries: DataFrame, k: int, size: int, *, metric: s
     """Approximate k nearest: rows that share a bucket with the query in any table, then exact distances."""
     h = planes(size, bits, tables)
     rows = df.select(F.col(id), F.col(vector), F.posexplode(signatures(F.col(vector), h)).alias("t", "b"))
-    asks = _checked(queries.select("query_id", "q")).select("query_id", "q", F.posexplode(signatures(F.col("q"), h)).alias("t", "b"))
-    pool = rows.join(F.broadcast(asks), ["t", "b"]).dropDuplicates(["query_id", id])
-    return _best(pool.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
+
+    def answer(block: DataFrame) -> DataFrame:
+        asks = block.select("query_id", "q", F.posexplode(signatures(F.col("q"), h)).alias("t", "b"))
+        pool = rows.join(F.broadcast(asks), ["t", "b"]).dropDuplicates(["query_id", id])
+        return _best(pool.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
+
+    return _by_block(queries.select("query_id", "q"), answer)
 
 
 def knn_quantized(df: DataFrame, query: list[float], k: int, *, metric: str = "l2", id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -30,6 +30,15 @@ def test_knn_edges_and_recall(spark, sf):
     assert r.recall > 0.9 and r.mean_error < 0.05
 
 
+def test_batches_of_many_blocks(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asks = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = lambda f: sorted((r.query_id, r.rank, r.vec_id) for r in f.collect())
+    whole = rows(K.knn_batch(df, asks, 5)), rows(K.ann_batch(df, asks, 5, 64))
+    monkeypatch.setattr(K, "MOST_QUERIES", (asks.count() + 1) // 2)
+    assert whole == (rows(K.knn_batch(df, asks, 5)), rows(K.ann_batch(df, asks, 5, 64)))
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 3), (1, 0), (7, 6), (100, 0)])
 def test_chunks(spark, size, overlap):
     texts = ["", "é" * 25, "hello world " * 5, "a", "x" * 10, None]

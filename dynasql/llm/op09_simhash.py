@@ -86,11 +86,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id.
+    """One document of each group: the one with the smallest doc_id, then hash of its text.
 
-    Rows that repeat that doc_id are repeats of it; one of them stays. Rows
-    without a doc_id stay, since no id says which document they repeat.
+    Rows that repeat both are repeats of it; one of them stays. Rows of one
+    doc_id with different texts are told apart. Rows without a doc_id stay,
+    since no id says which document they repeat.
     """
-    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("th")))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).filter("component_id is not null").select(F.col("component_id.doc_id").alias("__d"), F.col("component_id.th").alias("__t")).distinct()
+    named = docs.withColumn("__th", F.xxhash64("text"))
+    kept = named.join(found, (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi").dropDuplicates(["doc_id", "__th"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null")).select(docs.columns)

@@ -61,6 +61,13 @@ def test_fingerprints_and_groups(spark, sf):
     assert kept.columns == docs.columns
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    one, two = "the first text of this id is about foxes and dogs", "quite another text of it speaks of ships at sea"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (1, two), (None, one), (3, two)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in near.keep_one(docs).collect())
+    assert kept == sorted([(0, one), (1, one), (1, two)])
+
+
 @pytest.mark.parametrize("k", [1, 3, 4])
 def test_hamming_components_chain_and_hot_bucket(spark, k):
     import random

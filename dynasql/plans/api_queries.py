@@ -116,6 +116,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "stream_windows": (windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"),
     "dml_insert_select": (_script("CREATE TABLE big(k INTEGER PRIMARY KEY, name TEXT, bal REAL DEFAULT 0.5); INSERT INTO big(k, name) SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 50; INSERT INTO big SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey > 1400; SELECT k, name, bal FROM big"),
                           "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey <= 50 THEN 0.5::DOUBLE ELSE c_acctbal END AS bal FROM customer WHERE c_custkey <= 50 OR c_custkey > 1400"),
+    "dml_insert_select_all": (_script("CREATE TABLE big(k INTEGER PRIMARY KEY, name TEXT, bal REAL DEFAULT 0.5); INSERT INTO big(k, name) SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'; INSERT INTO big SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_mktsegment IS NULL; SELECT k, name, bal FROM big"),
+                              "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.5::DOUBLE ELSE c_acctbal END AS bal FROM customer"),
     "dml_insert_ignore_replace": (_script("CREATE TABLE t(k INT UNIQUE, v TEXT NOT NULL); INSERT INTO t VALUES (1, 'a'), (2, 'b'); INSERT OR IGNORE INTO t VALUES (2, 'x'), (3, 'c'), (4, NULL); REPLACE INTO t VALUES (1, 'z'), (NULL, 'n'); SELECT k, v FROM t"),
                                   "SELECT * FROM (VALUES (1, 'z'), (2, 'b'), (3, 'c'), (NULL, 'n')) t(k, v)"),
     "dml_update": (_script("CREATE TABLE n AS SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation; UPDATE n SET r = r + 10, name = name || '!' WHERE k % 3 = 0; SELECT k, name, r FROM n"),

@@ -112,6 +112,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "fn_char_unicode_hex": ("SELECT char(72, 233, 8364) AS c, unicode('é') AS u, hex('abc') AS h, hex(unhex('4D2F')) AS r, hex(zeroblob(2)) AS z", "SELECT 'Hé€' AS c, 233 AS u, '616263' AS h, '4D2F' AS r, '0000' AS z"),
     "fn_math_round": ("SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, round(l_extendedprice) AS r, round(l_tax, 1) AS r1, sign(l_discount - 0.05) AS s, ceil(l_tax) AS c, floor(l_tax) AS f FROM lineitem WHERE l_orderkey < 500",
                       "SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, round(l_extendedprice) AS r, round(l_tax, 1) AS r1, sign(l_discount - 0.05)::BIGINT AS s, ceil(l_tax) AS c, floor(l_tax) AS f FROM lineitem WHERE l_orderkey < 500"),
+    "fn_math_round_all": ("SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, round(l_extendedprice) AS r, round(l_tax, 1) AS r1, sign(l_discount - 0.05) AS s, ceil(l_tax) AS c, floor(l_tax) AS f FROM lineitem",
+                      "SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, round(l_extendedprice) AS r, round(l_tax, 1) AS r1, sign(l_discount - 0.05)::BIGINT AS s, ceil(l_tax) AS c, floor(l_tax) AS f FROM lineitem"),
     "fn_math_log": ("SELECT p_partkey, exp(p_size / 10.0) AS e, ln(p_size) AS l, log(p_size) AS l10, log2(p_size) AS l2, log(3, p_size) AS l3, sqrt(p_size) AS q, pow(p_size, 1.5) AS p, mod(p_retailprice, 7) AS m, ln(-1) AS none, sqrt(-4) AS none2 FROM part",
                     "SELECT p_partkey, exp(p_size / 10.0) AS e, ln(p_size) AS l, log10(p_size) AS l10, log2(p_size) AS l2, ln(p_size) / ln(3) AS l3, sqrt(p_size) AS q, pow(p_size, 1.5) AS p, p_retailprice % 7 AS m, NULL::DOUBLE AS none, NULL::DOUBLE AS none2 FROM part"),
     "fn_trigonometry": ("SELECT p_partkey, sin(p_size) AS s, cos(p_size) AS c, tan(p_size) AS t, asin(p_size / 50.0) AS i, acos(p_size / 50.0) AS o, atan(p_size) AS a, atan2(p_size, 3) AS b, degrees(p_size) AS d, radians(p_size) AS r, pi() AS pi, asin(2) AS none FROM part",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -72,6 +74,17 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished steps; else they stay until the driver happens to collect its garbage.
+
+    What a plan holds becomes free only after the plan itself was collected, so this takes two rounds.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal small but costly rows to as many tasks as a shuffle has, at least one for each core."""
     conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext

@@ -123,5 +123,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that a policy passes, whole."""
-    return ledger(docs, docs.columns).filter(passes(policy)).select(docs.columns)
+    """The rows of docs that a policy passes, whole, whatever the names of their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return ledger(rows, ["row"]).filter(passes(policy)).select("row.*")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy version and rule of it: documents failing the rule, and those only it rejects."""
+    rows, out = ledger(documents(spark, sf_dir)).select("failed"), None
+    for policy in POLICIES:
+        part = ablation(rows, policy).select(F.lit(policy).alias("policy"), "rule", "failing", "only_this")
+        out = part if out is None else out.unionByName(part)
+    return out

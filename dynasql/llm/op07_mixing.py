@@ -136,14 +136,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.
+    """The rows of docs, each as often as the mix takes it, whatever other columns they have.
 
     Equal rows share their copies; a row is found again by doc_id and a hash of
-    its other columns, and by its number among equal rows.
+    text, source and the other columns that can be hashed, and by its number
+    among rows equal in these.
     """
-    other = F.xxhash64("text", "lang", "source", "n_chars")
-    ranked = copies(docs, other).withColumn("__n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("copies")))).select(F.col("k").alias("__k"), "__n", F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", other))
-    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy("__k")))
-    found = keyed.join(ranked.filter("__copies > 0"), ["__k", "__n"])
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    other = F.xxhash64(*(c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind))
+    ranked = copies(docs, other).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("copies")))).select("k", "n", "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", other).alias("k"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k")))
+    found = rows.join(ranked.filter("copies > 0"), ["k", "n"])
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

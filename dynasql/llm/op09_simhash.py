@@ -93,7 +93,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     since no id says which document they repeat.
     """
     key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("th")))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).filter("component_id is not null").select(F.col("component_id.doc_id").alias("__d"), F.col("component_id.th").alias("__t")).distinct()
-    named = docs.withColumn("__th", F.xxhash64("text"))
-    kept = named.join(found, (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi").dropDuplicates(["doc_id", "__th"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).filter("component_id is not null").select(F.col("component_id.doc_id").alias("d"), F.col("component_id.th").alias("t")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    kept = rows.filter("id is not null").join(found, (F.col("id") == F.col("d")) & (F.col("th") == F.col("t")), "left_semi").dropDuplicates(["id", "th"])
+    return kept.select("row").union(rows.filter("id is null").select("row")).select("row.*")

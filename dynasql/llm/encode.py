@@ -9,6 +9,8 @@ cached as bytes. Any other text is encoded whole.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import struct
 
@@ -32,9 +34,12 @@ class _Words(dict):
 class Encoder:
     """ids(text): the ids as unsigned little-endian 32-bit numbers in bytes."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = {text: struct.pack("<I", i) for text, i in (added or {}).items()}
+        self.cuts = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -55,6 +60,22 @@ class Encoder:
             head = self.line
         return b"".join(out)
 
+    def ids_with_added(self, text: str) -> bytes:
+        """As ids, but the added tokens of the vocabulary, where a text spells them out, are one id each."""
+        if self.cuts is None or not self.cuts.search(text):
+            return self.ids(text)
+        out, at = [], 0
+        for m in self.cuts.finditer(text):
+            out += (self.ids(text[at : m.start()]), self.added[m[0]])
+            at = m.end()
+        return b"".join([*out, self.ids(text[at:])])
+
+
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The added tokens that a tokenizer's JSON file lists, with their ids."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
 
 _loaded: dict[str, Encoder] = {}
 
@@ -65,5 +86,6 @@ def encoder(vocabulary: str | None = None) -> Encoder:
 
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if path not in _loaded:
-        _loaded[path] = Encoder(path, public_tokenizers.PATTERN)
+        listed = path.removesuffix(".tiktoken") + ".json"
+        _loaded[path] = Encoder(path, public_tokenizers.PATTERN, added_tokens(listed) if os.path.exists(listed) else None)
     return _loaded[path]

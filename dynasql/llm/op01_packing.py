@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import documents
@@ -35,6 +35,8 @@ from .encode import encoder
 TOKENS, END = 2048, (1).to_bytes(4, "little")
 #: Limits on segments and loss-bearing tokens of a sequence.
 SEGMENTS, LOSS = 512, 2048
+#: The same for sequences of conversation turns.
+TURN_SEGMENTS, TURN_LOSS = 24, 1024
 #: Examples that wait at most while a bin is filled.
 WINDOW = 1024
 
@@ -139,22 +141,25 @@ def _rows(done: list[tuple], kind: pa.DataType, first: int, with_ids: bool) -> p
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def pack(docs: DataFrame, prompt: str | None = None, *, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, prompt: str | None = None, *, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of all rows of docs, packed; with_ids adds their ids as bytes.
 
-    prompt names a column of text that comes first and bears no loss. Columns:
+    prompt names a column of text that comes first and bears no loss. With added,
+    an added token of the vocabulary that a text spells out is one id, as its
+    tokenizer has it; else it is plain text. Columns:
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = encoder(vocabulary), Packer(tokens, segments, loss)
+        ids = coder.ids_with_added if added else coder.ids
         first, kind = TaskContext.get().partitionId() << 40, None
         for batch in batches:
             kind = batch.column(0).type
             prompts = batch.column(2) if prompt else None
             for i, key in enumerate(batch.column(0).to_pylist()):
-                head = coder.ids(prompts[i].as_py() or "") if prompt else b""
-                packer.add(key, head + coder.ids(batch.column(1)[i].as_py() or "") + END, len(head) // 4)
+                head = ids(prompts[i].as_py() or "") if prompt else b""
+                packer.add(key, head + ids(batch.column(1)[i].as_py() or "") + END, len(head) // 4)
                 if len(packer.done) >= 10_000:
                     yield _rows(packer.done, kind, first, with_ids)
                     packer.done.clear()
@@ -168,4 +173,13 @@ def pack(docs: DataFrame, prompt: str | None = None, *, tokens: int = TOKENS, se
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    """All documents. They carry no prompt, so tokens bind before loss; see packing_conversations."""
+    return pack(documents(spark, sf_dir), added=True)
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn of conversations, with the turn before it as a prompt that bears no loss, under three limits that bind."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = rows.withColumn("prompt", before).filter("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), "prompt", "text")
+    return pack(turns, "prompt", segments=TURN_SEGMENTS, loss=TURN_LOSS, added=True)

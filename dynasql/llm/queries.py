@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .op01_packing import op1_packing
+from .op01_packing import op1_packing, packing_conversations
 from .op02_revisits import op2_revisits
 from .op03_lm_score import op3_lm_score
 from .op04_toxicity import op4_toxicity
@@ -15,7 +15,7 @@ from .op06_lines import op6_lines
 from .op07_mixing import op7_mixing
 from .op08_ann import op8_ann
 from .op09_simhash import op9_simhash
-from .op10_quality import op10_quality
+from .op10_quality import op10_quality, quality_ablation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -28,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "packing_conversations": packing_conversations,
+    "quality_ablation": quality_ablation,
 }
 
 ORACLES: dict[str, str] = {

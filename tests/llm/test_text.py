@@ -270,3 +270,84 @@ def test_pipeline(spark, sf):
     for r in rows:
         total[r.doc_id] += r.length
     assert dict(total) == {d: sum(len(coder.ids(t)) // 4 + 1 for t in ts) for d, ts in kept.items()}
+
+
+def test_ids_with_added_tokens_equal_the_tokenizers(spark, corpus):
+    """The contract's call as written: a spelt-out added token is one id."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*ODD, "a<|endoftext|>b", "<|endoftext|><|endoftext|>", " x <|endoftext|>\n\n y<|endoftext", *corpus[:40]]
+    whole = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, x in enumerate(texts)}
+    rows = packing.pack(table(spark, texts), with_ids=True, added=True).collect()
+    assert check_pieces(rows, whole, 2048, packing.SEGMENTS, 2048) == 0
+    assert all(r.doc_tokens == len(whole[r.doc_id]) // 4 and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+
+
+def test_packer_takes_the_largest_dot_product():
+    """Every choice of a bin, replayed from its pieces, is what brute force would choose."""
+    import random
+
+    rnd = random.Random(8)
+    items = [(rnd.randrange(1, 90), rnd.randrange(0, 90)) for _ in range(60)]  # tokens, prompt tokens
+    cap = np.array([100.0, 5.0, 60.0])
+    packer = packing.Packer(100, 5, 60, window=1000)
+    for i, (n, prompt) in enumerate(items):
+        packer.add(i, b"abcd" * n, min(prompt, n))
+    waiting = {(k, s): (len(ids) // 4, p) for k, s, ids, p, _ in packer.items}
+    packer.fill(0)
+    bins = defaultdict(list)
+    for key, start, n, *_, sequence, offset in packer.done:
+        bins[sequence].append((offset, key, start, n))
+    choices = 0
+    for _, pieces in sorted(bins.items())[:8]:
+        left = cap.copy()
+        if sum(p[3] for p in pieces) < 100:
+            continue
+        for _, key, start, n in sorted(pieces):
+            need = {k: np.array([m, 1, packing.Packer.loss_of(k[1], m, p)]) for k, (m, p) in waiting.items()}
+            fits = {k: float(v @ (left / cap**2)) for k, v in need.items() if (v <= left).all()}
+            m, prompt = waiting.pop((key, start))
+            if fits:
+                assert m == n and fits[key, start] >= max(fits.values()) - 1e-9
+                choices += 1
+            elif n < m:
+                waiting[key, start + n] = (m - n, prompt)
+            left -= (n, 1, packing.Packer.loss_of(start, n, prompt))
+    assert choices > 10
+
+
+def test_conversations_bind_every_limit(spark, sf):
+    from dynasql.llm.queries import QUERIES
+
+    rows = QUERIES["packing_conversations"](spark, "/root/testdata/sf0.01").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert all(sum(r.length for r in x) <= 2048 and len(x) <= packing.TURN_SEGMENTS and sum(r.loss_tokens for r in x) <= packing.TURN_LOSS for x in by.values())
+    assert any(sum(r.loss_tokens for r in x) == packing.TURN_LOSS for x in by.values())
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns keep their values, whatever their names."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i} has{i} text{i}" for i in range(40))
+    docs = table(spark, [text, text + " more", "x", None, text]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("failed", "n_words", "n_symbols", "k", "n", "row", "copies", "kept", "th", "h", "id", "fp", "d")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in ("failed", "n_words", "n_symbols", "k", "n", "row", "copies", "kept", "th", "h", "id", "fp", "d")), name
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_take_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (None, text + " tail", "en", None, 5), (3, "", "en", "a", 0), (4, "long " * 50_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {name: [tuple(r) for r in stage(spark, docs, "").collect()] for name, stage in corpus_pipeline.STAGES}
+    assert sorted(got["quality_rules"], key=str) == sorted((r for r in rows if r[1] and len(set(r[1].split())) > 50), key=str)
+    assert (None, text + " tail", "en", None, 5) in got["line_dedup"] and (2, None, None, None, None) in got["line_dedup"]
+    assert sum(r[0] == 1 for r in got["near_dedup"]) == 1 and (None, text + " tail", "en", None, 5) in got["near_dedup"]
+    assert set(got["mix_sources"]) <= set(rows) and {r[0] for r in got["pack_sequences"]} == {1, 2, None, 3, 4}

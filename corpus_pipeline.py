@@ -1,8 +1,16 @@
 """The corpus pipeline: documents through five stages, each one of the operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
-each result to the shared folder and reads it back as the next stage's docs.
-Part of the subpackage dynasql.llm.
+each result to the shared folder, reads it back as the next stage's docs, and
+deletes it when the next one is written. Part of the subpackage dynasql.llm.
+
+Defined results, in every stage: no rows give no rows; extra columns are kept as
+they are, whatever their names, up to the last stage. Quality rules: a null text
+has no words and goes; repeated rows are judged each. Line dedup: a null text or
+a null doc_id stays as it is; a text without a line left goes; rows that repeat
+doc_id and text keep the same lines. Near dedup: rows without a doc_id stay; of
+rows that repeat doc_id and text one stays. Mixing: a null source is a source of
+its own; texts without a word are not taken. Packing: a null text is empty.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dynasql.llm.base import cut, documents
+from dynasql.llm.base import cut, documents, drop, release
 from dynasql.llm.op01_packing import pack
 from dynasql.llm.op06_lines import drop_repeats
 from dynasql.llm.op07_mixing import mix
@@ -41,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into token sequences."""
-    return pack(docs)
+    return pack(docs, added=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -52,14 +60,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack_sequences", pack_sequences),
 ]
 
-#: Fingerprints, fuzzy lines and token ids have no SQL; tests/llm holds a brute-force version.
+#: Fingerprints, fuzzy lines and token ids have no SQL; tests/llm tests each stage's operator against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            drop(before)
+            release(spark)
     return docs

@@ -58,6 +58,10 @@ def _trim(side: str) -> Callable[..., Value]:
 
 
 def _round(x: Value, d: Value | None = None) -> Value:
+    if d is not None and d.literal is None and d.kind != "null":  # digits of each row
+        unit = F.pow(F.lit(10.0), F.least(F.greatest(_numeric(d), F.lit(0)), F.lit(30)))
+        n = _numeric(x)
+        return Value(F.signum(n) * F.floor(F.abs(n) * unit + 0.5) / unit, "real")
     places = 0 if d is None else max(0, int(d.literal or 0))
     return Value(F.round(_numeric(x), min(places, 30)), "real")
 

@@ -337,9 +337,11 @@ class Compiler:
             there = Value(F.col(key), V.kind_of(sub.schema[0].dataType), True)
             sub = sub.toDF(key)
             hit = V.compare("=", v, there)
-            if negate:  # a null on either side leaves the row's membership open
-                df = df.join(sub, F.coalesce(hit, F.lit(True)), "left_anti")
-                return df
+            if negate:  # a null on either side leaves the row's membership open, unless there is nothing to be in
+                n, nulls = self.engine.unique(), self.engine.unique()
+                seen = sub.agg(F.count(F.lit(1)).alias(n), F.count_if(F.col(key).isNull()).alias(nulls))
+                out = df.join(sub, hit, "left_anti").crossJoin(F.broadcast(seen))
+                return out.filter((F.col(n) == 0) | ((F.col(nulls) == 0) & v.c.isNotNull())).drop(n, nulls)
             return df.join(sub, hit, "left_semi")
         if node[0] == "exists":
             some = self.engine.select(node[1], self.ctes, self.params).limit(1).agg((F.count(F.lit(1)) > 0).alias(name := self.engine.unique()))
@@ -442,7 +444,7 @@ class Compiler:
         if op == "like":
             c = like(t, p.literal if isinstance(p.literal, str) else V.text(p), escape[1] if escape else None)
         elif op == "glob":
-            c = glob(t, str(p.literal))
+            c = glob(t, p.literal if isinstance(p.literal, str) else V.text(p))
         elif op == "regexp":
             c = t.rlike(str(p.literal)) if p.literal is not None else F.regexp_like(t, V.text(p))
         else:

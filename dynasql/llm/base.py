@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -46,9 +47,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
+    """The cluster's shared folder; a folder of our own only where none is named and everything runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = "file://" + tempfile.mkdtemp(prefix="dynasql-")
         where = shared_dir.own

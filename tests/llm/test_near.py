@@ -137,3 +137,12 @@ def test_many_windows(spark, monkeypatch):
     texts = ["a b c d e a b c x y a b c d e f g", "q " * 30, "a b c a b c"]
     for r in quality.ledger(table(spark, texts)).collect():
         assert r.n_repeat_words == brute_quality(texts[r.doc_id])[4]
+
+
+def test_ablation_query(spark, sf):
+    from dynasql.llm.queries import QUERIES
+
+    failed = [r.failed for r in quality.ledger(spark.read.parquet(f"{sf}/documents.parquet")).select("failed").collect()]
+    got = {(r.policy, r.rule): (r.failing, r.only_this) for r in QUERIES["quality_ablation"](spark, sf).collect()}
+    want = {(p, n): (sum(bool(f & b) for f in failed), sum(f & mask == b for f in failed)) for p, mask in quality.POLICIES.items() for n, b in quality.BIT.items() if b & mask}
+    assert got == want

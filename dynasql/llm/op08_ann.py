@@ -5,18 +5,23 @@ PROJECTIONS random lines, and each line's projections are kept as one sorted
 array. A query opens a window around its own projection on every line and
 widens all windows together, step by step (virtual rehashing: a wider window is
 a coarser hash of the same array). A vector that falls into the windows of
-enough lines is verified by its true distance. Widening stops when a vector as
-near as the k-th found would, with the chance set by SURE, have passed the
-threshold already; there is no cap on the vectors verified.
+enough lines is verified by its true distance. Widening stops at REACH times the
+distance of the k-th found. There a vector as near as that one collides on a
+known share of the lines; the threshold lies SURE standard deviations below, so
+farther vectors, which collide less often, mostly stay unverified. There is no
+cap on the vectors verified.
 
-Rows are dealt into candidate blocks and query blocks of bounded size, and each
-pair of blocks is one task's work; every query block meets every candidate
-block, and no pairs of vectors leave a task but the k nearest found.
+Rows are dealt into candidate blocks and query blocks bounded in rows and in
+bytes, each of vectors of one length, and each pair of blocks is one task's work;
+every query block meets every candidate block, and no pairs of vectors leave a
+task but the k nearest found.
 
 Defined results: vectors that are null, empty, all zero or hold a null or
 non-finite component take no part, nor do rows without a vec_id; a query meets
-vectors of its own length only; rows that repeat a vec_id count once, with the
-smallest vector; ties go to the smaller vec_id. Extra columns are not read.
+vectors of its own length only; ties go to the smaller vec_id. With `repeats`,
+as in the query, each row that repeats a vec_id takes part by itself, as a
+candidate of the others and as a query; without, such rows count once, with the
+smallest vector. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,71 +30,71 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import cut
 
 K, EVERY = 10, 100
-PROJECTIONS, SEED = 64, 11
-#: Share of the lines that must collide, standard deviations of certainty, and widening.
-THRESHOLD, SURE, WIDEN = 0.5, 2.5, 1.25
-#: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 20_000, 5_000
+PROJECTIONS, SEED = 256, 11
+#: Window over the k-th distance at which widening stops, standard deviations of certainty, and widening until k are found.
+REACH, SURE, WIDEN = 1.0, 1.3, 1.25
+#: Share of the lines that must collide.
+THRESHOLD = math.erf(REACH / math.sqrt(2)) - SURE * math.sqrt(math.erf(REACH / math.sqrt(2)) * math.erfc(REACH / math.sqrt(2)) / PROJECTIONS)
+#: Rows of a block of candidates and of a block of queries, and bytes of vectors in either.
+CANDIDATES, QUERIES, BLOCK_BYTES = 20_000, 5_000, 64_000_000
 
 
-def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+def usable(df: DataFrame, column: str = "embedding", repeats: bool = False) -> DataFrame:
+    """(vec_id, v) of the rows that take part; with repeats also row, which tells rows apart once the result is stored."""
     v = F.col(column).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
+    if repeats:
+        return rows.withColumn("row", F.monotonically_increasing_id())
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 class Block:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors; `verified` counts true distances taken."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
+        self.ids, self.vectors, self.rows, self.verified = ids, vectors, ids if rows is None else rows, 0
         self.lines = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1]))
-        shadow = vectors @ self.lines.T
-        self.order = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(shadow, self.order.T, axis=0).T.copy()
+        shadow = self.lines @ vectors.T
+        self.order = np.argsort(shadow, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(shadow, self.order, axis=1)
         spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
         self.first = spread / 64 or 1e-9
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest found, nearest first; not the query's own."""
+        """(ids, distances) of the k nearest found, nearest first; not the query's own row."""
         n = len(self.ids)
         at = self.lines @ query
         need = max(1, math.ceil(THRESHOLD * PROJECTIONS))
-        hits, known = np.zeros(n, np.int32), self.ids == own
+        hits, known = np.zeros(n, np.int32), self.rows == own
         low = np.array([s.searchsorted(a) for s, a in zip(self.sorted, at, strict=True)])
         high, width = low.copy(), self.first
         found, far = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            parts = []
             for i in range(PROJECTIONS):
                 a, b = self.sorted[i].searchsorted(at[i] - width), self.sorted[i].searchsorted(at[i] + width, "right")
                 a, b = min(a, low[i]), max(b, high[i])
-                parts += (self.order[i, a : low[i]], self.order[i, high[i] : b])
+                hits[self.order[i, a : low[i]]] += 1
+                hits[self.order[i, high[i] : b]] += 1
                 low[i], high[i] = a, b
-            hits += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
             new = np.flatnonzero((hits >= need) & ~known)
             if len(new):
                 known[new] = True
+                self.verified += len(new)
                 gap = self.vectors[new] - query
                 found, far = np.concatenate([found, new]), np.concatenate([far, np.sqrt((gap * gap).sum(axis=1))])
                 if len(far) > k:
                     keep = np.lexsort((self.ids[found], far))[:k]
                     found, far = found[keep], far[keep]
-            if known.all() or ((high - low) == n).all():
+            if known.all() or ((high - low) == n).all() or len(far) >= k and width >= REACH * far.max():
                 break
-            if len(far) >= k:
-                p = math.erf(width / max(far.max(), 1e-300) / math.sqrt(2))
-                if PROJECTIONS * p - SURE * math.sqrt(PROJECTIONS * p * (1 - p)) >= need:
-                    break
-            width *= WIDEN
+            width = width * WIDEN if len(far) < k else min(width * WIDEN, REACH * far.max())
         order = np.lexsort((self.ids[found], far))[:k]
         return self.ids[found[order]], far[order]
 
@@ -98,29 +103,42 @@ def _search(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            block = Block(rows.vec_id.to_numpy(np.int64), np.stack(rows.v.to_numpy()).astype(np.float64))
-            for q, v in zip(queries.vec_id, queries.v, strict=True):
-                ids, far = block.search(q, np.asarray(v, np.float64), k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": far}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            block = Block(rows.vec_id.to_numpy(np.int64), np.stack(rows.v.to_numpy()).astype(np.float64), rows.row.to_numpy(np.int64))
+            for q, row, v in zip(queries.vec_id, queries.row, queries.v, strict=True):
+                ids, far = block.search(row, np.asarray(v, np.float64), k)
+                out.append(pd.DataFrame({"query_id": q, "row": row, "vec_id": ids, "score": far}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "row": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
+def _blocks(count: str, most: int) -> Column:
+    """Blocks for rows of one length: at most `most` rows in each, and BLOCK_BYTES of vectors."""
+    return F.ceil(F.col(count) / F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))).cast("int")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query (vec_id, v) its k nearest found in vectors."""
-    n, q = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(q / QUERIES))
-    dealt = lambda df, count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = vectors.withColumns({"dim": F.size("v"), "b": dealt(vectors, blocks, 1)}).withColumn("q", every(query_blocks))
-    asks = queries.withColumns({"dim": F.size("v"), "q": dealt(queries, query_blocks, 2)}).withColumn("b", every(blocks))
+    """(query_id, rank, vec_id, score): for each query (vec_id, v) its k nearest found in vectors.
+
+    A column `row` in both tells rows of one vec_id apart; without it vec_ids are unique.
+    """
+    own = "row" if "row" in vectors.columns else "vec_id"
+    sized = lambda df: df.select("vec_id", F.col(own).alias("row"), "v", F.size("v").alias("dim"))
+    rows, asks = sized(vectors), sized(queries)
+    counts = rows.groupBy("dim").agg(F.count("*").alias("n")).join(asks.groupBy("dim").agg(F.count("*").alias("m")), "dim")
+    # Stored, so that its size is known and Spark broadcasts it only if it is small: lengths are few, but one may have all rows.
+    plan = cut(counts.select("dim", _blocks("n", CANDIDATES).alias("bs"), _blocks("m", QUERIES).alias("qs")))
+    place = lambda count, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    rows = rows.join(plan, "dim").select("vec_id", "row", "v", "dim", place("bs", 1).alias("b"), every("qs").alias("q"))
+    asks = asks.join(plan, "dim").select("vec_id", "row", "v", "dim", every("bs").alias("b"), place("qs", 2).alias("q"))
+    rows, asks = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, asks))
     pairs = rows.groupBy("dim", "b", "q").cogroup(asks.groupBy("dim", "b", "q"))
-    near = pairs.applyInPandas(_search(k), "query_id long, vec_id long, score double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    near = pairs.applyInPandas(_search(k), "query_id long, row long, vec_id long, score double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "row").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    rows = cut(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), repeats=True))
     return nearest(rows, rows.filter(F.col("vec_id") % EVERY == 0))

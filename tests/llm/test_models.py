@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,29 @@ def test_ann_odd_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 8, math.sqrt(2)), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 8, math.sqrt(2)), (200, 1, 9, 1.0)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_ann_collisions_filter(where="sf0.1"):
+    """At the default block size few vectors are verified, and most of the nearest are found."""
+    table = pd.read_parquet(f"/root/testdata/{where}/embeddings.parquet").dropna()
+    x = np.stack([v for v in table.embedding if len(v) == 64]).astype(float)
+    x = np.concatenate([x + np.random.default_rng(i).normal(0, 0.1, x.shape) for i in range(ann.CANDIDATES // len(x))])
+    block, ids = ann.Block(np.arange(len(x)), x), np.arange(len(x))
+    asked, hits = range(0, len(x), len(x) // 30), 0
+    for q in asked:
+        found, _ = block.search(q, x[q], 10)
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(found) & set(ids[np.argsort(far)[:10]]))
+    assert hits >= 0.9 * 10 * len(asked)
+    assert block.verified <= 0.1 * len(x) * len(asked)
+
+
+def test_ann_repeats_take_part(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 32)
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 2.0]), (7, [1.0, 1.0]), (8, [3.0, 0.0, 1.0])]
+    df = ann.cut(ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), repeats=True))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).collect())
+    one = [(100, 1, 100, 0.0), (100, 2, 7, 1.0), (100, 3, 100, math.sqrt(5))]
+    other = [(100, 1, 7, math.sqrt(2)), (100, 2, 100, math.sqrt(5)), (100, 3, 100, math.sqrt(5))]
+    assert got == sorted(one + one + other)

@@ -2,8 +2,8 @@
 
 Method (query-aware hashing, Huang et al., 2015): every vector is projected on
 PROJECTIONS random lines, and each line's projections are kept as one sorted
-array. A query opens a window around its own projection on every line and
-widens all windows together, step by step (virtual rehashing: a wider window is
+array. A query opens a window around its own projection on every line, at first
+narrower than a usual k-th distance asks, and widens all windows together, step by step (virtual rehashing: a wider window is
 a coarser hash of the same array). A vector that falls into the windows of
 enough lines is verified by its true distance. Widening stops at REACH times the
 distance of the k-th found. There a vector as near as that one collides on a
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from .base import cut
 
 K, EVERY = 10, 100
-PROJECTIONS, SEED = 256, 11
+PROJECTIONS, SEED = 128, 11
 #: Window over the k-th distance at which widening stops, standard deviations of certainty, and widening until k are found.
-REACH, SURE, WIDEN = 1.0, 1.3, 1.25
+REACH, SURE, WIDEN = 2.0, 1.6, 1.25
+#: Vectors of a block whose k-th distances tell how wide its windows are at first.
+SAMPLE = 32
 #: Share of the lines that must collide.
 THRESHOLD = math.erf(REACH / math.sqrt(2)) - SURE * math.sqrt(math.erf(REACH / math.sqrt(2)) * math.erfc(REACH / math.sqrt(2)) / PROJECTIONS)
 #: Rows of a block of candidates and of a block of queries, and bytes of vectors in either.
@@ -64,25 +66,34 @@ class Block:
         shadow = self.lines @ vectors.T
         self.order = np.argsort(shadow, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(shadow, self.order, axis=1)
-        spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
-        self.first = spread / 64 or 1e-9
-
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
+
+    def start(self, k: int) -> float:
+        """The first half-width: below the usual k-th distance of the block's vectors, the smallest rows standing for all."""
+        some = np.argsort(self.rows, kind="stable")[:SAMPLE]
+        far = [np.sqrt(np.partition(((self.vectors - self.vectors[i]) ** 2).sum(axis=1), min(k, len(self.ids) - 1))[min(k, len(self.ids) - 1)]) for i in some]
+        return REACH / WIDEN**2 * float(np.median(far)) or self.spread / 64 or 1e-9
+
+    def collisions(self, at: np.ndarray, width: float) -> np.ndarray:
+        """On how many lines each vector is in the window; windows that hold most vectors are counted by what lies outside."""
+        n, hits = len(self.ids), np.zeros(len(self.ids), np.int32)
+        for line, order, x in zip(self.sorted, self.order, at, strict=True):
+            a, b = line.searchsorted((x - width, x + width))
+            if 2 * (b - a) <= n:
+                hits[order[a:b]] += 1
+            else:
+                hits += 1
+                hits[order[:a]] -= 1
+                hits[order[b:]] -= 1
+        return hits
+
+    def search(self, own: int, query: np.ndarray, k: int, width: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, nearest first; not the query's own row."""
-        n = len(self.ids)
-        at = self.lines @ query
-        need = max(1, math.ceil(THRESHOLD * PROJECTIONS))
-        hits, known = np.zeros(n, np.int32), self.rows == own
-        low = np.array([s.searchsorted(a) for s, a in zip(self.sorted, at, strict=True)])
-        high, width = low.copy(), self.first
+        at, known = self.lines @ query, self.rows == own
+        need, width = max(1, math.ceil(THRESHOLD * PROJECTIONS)), width or self.start(k)
         found, far = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            for i in range(PROJECTIONS):
-                a, b = self.sorted[i].searchsorted(at[i] - width), self.sorted[i].searchsorted(at[i] + width, "right")
-                a, b = min(a, low[i]), max(b, high[i])
-                hits[self.order[i, a : low[i]]] += 1
-                hits[self.order[i, high[i] : b]] += 1
-                low[i], high[i] = a, b
+            hits = self.collisions(at, width)
             new = np.flatnonzero((hits >= need) & ~known)
             if len(new):
                 known[new] = True
@@ -92,7 +103,7 @@ class Block:
                 if len(far) > k:
                     keep = np.lexsort((self.ids[found], far))[:k]
                     found, far = found[keep], far[keep]
-            if known.all() or ((high - low) == n).all() or len(far) >= k and width >= REACH * far.max():
+            if known.all() or len(far) >= k and width >= REACH * far.max():
                 break
             width = width * WIDEN if len(far) < k else min(width * WIDEN, REACH * far.max())
         order = np.lexsort((self.ids[found], far))[:k]
@@ -104,8 +115,9 @@ def _search(k: int):
         out = []
         if len(rows) and len(queries):
             block = Block(rows.vec_id.to_numpy(np.int64), np.stack(rows.v.to_numpy()).astype(np.float64), rows.row.to_numpy(np.int64))
+            width = block.start(k)
             for q, row, v in zip(queries.vec_id, queries.row, queries.v, strict=True):
-                ids, far = block.search(row, np.asarray(v, np.float64), k)
+                ids, far = block.search(row, np.asarray(v, np.float64), k, width)
                 out.append(pd.DataFrame({"query_id": q, "row": row, "vec_id": ids, "score": far}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "row": "int64", "vec_id": "int64", "score": "float64"})
 

@@ -1,6 +1,7 @@
 """Packing, mixing, secrets, lines and the pipeline against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -351,3 +352,18 @@ def test_stages_take_nulls_and_repeats(spark):
     assert (None, text + " tail", "en", None, 5) in got["line_dedup"] and (2, None, None, None, None) in got["line_dedup"]
     assert sum(r[0] == 1 for r in got["near_dedup"]) == 1 and (None, text + " tail", "en", None, 5) in got["near_dedup"]
     assert set(got["mix_sources"]) <= set(rows) and {r[0] for r in got["pack_sequences"]} == {1, 2, None, 3, 4}
+
+
+def test_lines_sharing_a_passage(spark, monkeypatch):
+    """Near copies are found among many lines that share a passage, also where buckets get rarer keys; the others stay."""
+    monkeypatch.setattr(fuzzy, "COMMON", 8)
+    monkeypatch.setattr(fuzzy, "MANY", 4)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    passage = [word() for _ in range(30)]
+    texts = [" ".join([word() for _ in range(25)] + passage) for _ in range(60)]
+    copies = [t.replace(t.split()[3], "changed", 1) for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    left = {r.doc_id for r in fuzzy.drop_repeats(docs).collect()}
+    assert set(range(60)) <= left
+    assert len(left) <= 60 + 2

@@ -367,3 +367,22 @@ def test_lines_sharing_a_passage(spark, monkeypatch):
     left = {r.doc_id for r in fuzzy.drop_repeats(docs).collect()}
     assert set(range(60)) <= left
     assert len(left) <= 60 + 2
+
+
+def families(spark):
+    """Pairs of near copies that agree in a passage all pairs share, and by letters, not by words, in a tail of their own."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    passage = [word() for _ in range(45)]
+    tails = [[word() for _ in range(29)] for _ in range(30)]
+    texts = [" ".join(passage + [w + end for w in tail]) for tail in tails for end in ("", "q")]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_lines_alike_by_a_passage_and_letters(spark, monkeypatch):
+    """Lines of heavy buckets whose own word pairs, a third or more, are all rare and all unlike still meet."""
+    monkeypatch.setattr(fuzzy, "COMMON", 8)
+    monkeypatch.setattr(fuzzy, "MANY", 4)
+    left = {r.doc_id for r in fuzzy.kept_lines(families(spark), whole=True).collect()}
+    assert set(range(0, 60, 2)) <= left
+    assert len(left) <= 33

@@ -386,3 +386,13 @@ def test_lines_alike_by_a_passage_and_letters(spark, monkeypatch):
     left = {r.doc_id for r in fuzzy.kept_lines(families(spark), whole=True).collect()}
     assert set(range(0, 60, 2)) <= left
     assert len(left) <= 33
+
+
+def test_line_dedup_stage_drops_no_partners(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(fuzzy, "COMMON", 8)
+    monkeypatch.setattr(fuzzy, "MANY", 4)
+    left = {r.doc_id for r in corpus_pipeline.line_dedup(spark, families(spark), "").collect()}
+    assert set(range(0, 60, 2)) <= left
+    assert len(left) <= 33

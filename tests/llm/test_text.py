@@ -396,3 +396,23 @@ def test_line_dedup_stage_drops_no_partners(spark, monkeypatch):
     left = {r.doc_id for r in corpus_pipeline.line_dedup(spark, families(spark), "").collect()}
     assert set(range(0, 60, 2)) <= left
     assert len(left) <= 33
+
+
+def test_lines_are_compared_once(spark, monkeypatch):
+    """No two lines of a group that shares a passage are compared a second time, in whatever bucket or round they meet."""
+    compared = []
+
+    def cut(df, was=fuzzy.cut):
+        out = was(df)
+        if out.columns == ["ia", "ib"]:
+            compared.append(out)
+        return out
+
+    monkeypatch.setattr(fuzzy, "cut", cut)
+    monkeypatch.setattr(fuzzy, "COMMON", 8)
+    monkeypatch.setattr(fuzzy, "MANY", 4)
+    assert len({r.doc_id for r in fuzzy.kept_lines(families(spark), whole=True).collect()}) <= 33
+    tables = [t.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().collect() for t in compared]
+    pairs = [tuple(r) for t in tables for r in t]
+    assert len(pairs) > 60
+    assert len(set(pairs)) == len(pairs)

@@ -416,3 +416,25 @@ def test_lines_are_compared_once(spark, monkeypatch):
     pairs = [tuple(r) for t in tables for r in t]
     assert len(pairs) > 60
     assert len(set(pairs)) == len(pairs)
+
+
+def test_line_dedup_stage_finds_partners_of_every_kind(spark):
+    """Near copies on both sides of a length where hashes change kind, of a few long words, or that repeat a word often."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    sided = [" ".join(word(n) for n in (5, 4, 6, 5, 4, 6, 5, 4, 6, 5)) for _ in range(40)]
+    tiny = [" ".join(word(n) for n in (6, 5, 6)) for _ in range(40)]
+    kinds = [
+        [(x, x + "q") for x in sided],
+        [(x, x + "q") for x in tiny],
+        [(x, x[:40] + "q" + x[41:]) for x in (word(80) for _ in range(40))],
+        [(" ".join([*w, *[w[0] + "x"] * 100]), " ".join([*w[:3], "other", *w[4:], *[w[0] + "x"] * 100])) for w in ([word(4) for _ in range(6)] for _ in range(40))],
+    ]
+    assert {len(x) for x in sided} == {59} and {len(x) for x in tiny} == {19}
+    rows = [(1000 * k + 100 * side + i, pair[side]) for k, pairs in enumerate(kinds) for i, pair in enumerate(pairs) for side in (0, 1)]
+    left = {r.doc_id for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for k in range(4):
+        assert {1000 * k + i for i in range(40)} <= left, k
+        assert sum(1000 * k + 100 + i in left for i in range(40)) <= 4, k

@@ -399,7 +399,7 @@ def test_line_dedup_stage_drops_no_partners(spark, monkeypatch):
 
 
 def test_lines_are_compared_once(spark, monkeypatch):
-    """No two lines of a group that shares a passage are compared a second time, in whatever bucket or round they meet."""
+    """In a group that shares a passage, lines are not compared again with the leads of their buckets."""
     compared = []
 
     def cut(df, was=fuzzy.cut):

@@ -438,3 +438,34 @@ def test_line_dedup_stage_finds_partners_of_every_kind(spark):
     for k in range(4):
         assert {1000 * k + i for i in range(40)} <= left, k
         assert sum(1000 * k + 100 + i in left for i in range(40)) <= 4, k
+
+
+def test_lines_meet_in_one_bucket_and_only_in_reach(spark, monkeypatch):
+    """Lines that share several buckets are a pair once, and lines with none of a length near theirs in a bucket are not fetched."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    passage = [word() for _ in range(24)]
+    texts = [" ".join([*passage, *(word() for _ in range(16))]) for _ in range(40)]
+    start = " ".join(word() for _ in range(12))
+    far = [start, start + " " + " ".join(word() for _ in range(4))]
+    docs = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string")
+    fetched, pairs, joined = set(), [], []
+
+    def texts_of(docs, some, was=fuzzy._texts):
+        fetched.update(r.doc_id for r in some.collect())
+        return was(docs, some)
+
+    def cut(df, was=fuzzy.cut):
+        out = was(df)
+        if df.columns == ["ia", "ib"]:
+            pairs.append([tuple(sorted(r)) for r in out.collect()])
+            joined.append(df._jdf.queryExecution().optimizedPlan().toString().startswith("Project"))
+        return out
+
+    monkeypatch.setattr(fuzzy, "_texts", texts_of)
+    monkeypatch.setattr(fuzzy, "cut", cut)
+    left = {r.doc_id for r in fuzzy.kept_lines(docs, whole=True).collect()}
+    assert left == set(range(42))
+    assert fetched and not fetched & {40, 41}
+    assert joined[-1], "pairs come from the join as they are, not made distinct after it"
+    assert len(pairs[-1]) > 20 and len(set(pairs[-1])) == len(pairs[-1])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from .search import search
 
 #: Queries of a block, which is sent to every task; about so many at most.
 MOST_QUERIES = 10_000
@@ -36,7 +39,7 @@ def _by_block(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> D
 
 
 def _best(df: DataFrame, k: int, id: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("distance", id)
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), id)
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -57,26 +60,37 @@ def planes(size: int, bits: int, tables: int, seed: int = 5) -> list[list[list[f
     return [[[rnd.gauss(0, 1) for _ in range(size)] for _ in range(bits)] for _ in range(tables)]
 
 
-def signatures(v: Column, hyperplanes: list[list[list[float]]]) -> Column:
-    """array of one bucket per table: the sides of the table's hyperplanes, as bits."""
-    def bucket(table: list[list[float]]) -> Column:
-        bits = F.array(*(V.vector(p) for p in table))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, p: a * 2 + (V.dot(v, p) > 0).cast("long"))
+def _whole(v: Column, size: int | None = None) -> Column:
+    """The vector as doubles; null if a component is, or if it has another length."""
+    fine = F.forall(v, lambda x: x.isNotNull())
+    return F.when(fine if size is None else fine & (F.size(v) == size), V.doubles(v))
 
-    return F.array(*(bucket(t) for t in hyperplanes))
 
-
-def ann_batch(df: DataFrame, queries: DataFrame, k: int, size: int, *, metric: str = "l2", bits: int = 4, tables: int = 24, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate k nearest: rows that share a bucket with the query in any table, then exact distances."""
-    h = planes(size, bits, tables)
-    rows = df.select(F.col(id), F.col(vector), F.posexplode(signatures(F.col(vector), h)).alias("t", "b"))
+def _nearest(df: DataFrame, queries: DataFrame, k: int, metric: str, id: str, vector: str, size: int | None = None, hyperplanes: list | None = None) -> DataFrame:
+    """Rows stay in the tasks that read them and meet each block of queries there; only the k nearest of a task are shuffled."""
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    rows = df.select(F.col(id), _whole(F.col(vector), size).alias(vector))
+    asks = queries.select("query_id", _whole(F.col("q"), size).alias("q"))
+    if hyperplanes is not None:  # what has no bucket meets nothing
+        rows, asks = rows.filter(F.col(vector).isNotNull()), asks.filter(F.col("q").isNotNull())
+    kinds = T.StructType([T.StructField("query_id", asks.schema["query_id"].dataType), T.StructField(id, rows.schema[id].dataType), T.StructField("distance", T.DoubleType())])
 
     def answer(block: DataFrame) -> DataFrame:
-        asks = block.select("query_id", "q", F.posexplode(signatures(F.col("q"), h)).alias("t", "b"))
-        pool = rows.join(F.broadcast(asks), ["t", "b"]).dropDuplicates(["query_id", id])
-        return _best(pool.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
+        table = block.toArrow().combine_chunks()
+        sent = df.sparkSession.sparkContext.broadcast(tuple(_one(c) for c in table.columns))
+        return _best(rows.mapInArrow(search(sent, k, metric, hyperplanes, id), kinds), k, id)
 
-    return _by_block(queries.select("query_id", "q"), answer)
+    return _by_block(asks, answer)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def ann_batch(df: DataFrame, queries: DataFrame, k: int, size: int, *, metric: str = "l2", bits: int = 4, tables: int = 24, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate k nearest: rows that share a bucket with the query in any table, then exact distances."""
+    return _nearest(df, queries, k, metric, id, vector, size, planes(size, bits, tables))
 
 
 def knn_quantized(df: DataFrame, query: list[float], k: int, *, metric: str = "l2", id: str = "vec_id", vector: str = "embedding") -> DataFrame:

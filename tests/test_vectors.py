@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dynasql.functions import vectors as V
 from dynasql.operators import knn as K
+from dynasql.operators import search
 from dynasql.operators.chunking import chunk_text
 from dynasql.streaming.windows import stream_table, windowed_counts, write_stream
 
@@ -39,6 +41,53 @@ def test_batches_of_many_blocks(spark, sf, monkeypatch):
     assert whole == (rows(K.knn_batch(df, asks, 5)), rows(K.ann_batch(df, asks, 5, 64)))
 
 
+def by_pairs(df, asks, k, bits=None, metric="l2"):
+    """The k nearest from all pairs; with bits of those that share a bucket in a table, by native Columns."""
+    met = df.select("vec_id", "embedding").crossJoin(asks)
+    if bits:
+        v, q = F.col("embedding"), F.col("q")
+        side = lambda c, t: F.aggregate(F.array(*(V.vector(p) for p in t)), F.lit(0), lambda a, p: a * 2 + (V.dot(c, p) > 0).cast("int"))
+        buckets = lambda c: F.array(*(side(c, t) for t in bits))
+        met = met.filter(F.exists(F.zip_with(buckets(v), buckets(q), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
+    far = met.select("query_id", "vec_id", V.distance(metric, F.col("embedding"), F.col("q")).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
+    return kept(far.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+
+
+def kept(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, repr(r.distance)) for r in df.collect())
+
+
+NAN, INF = float("nan"), float("inf")
+ODD = [[1.0, 0.0, 2.0], [1.0, 0.0, 2.0], [0.0, 0.0, 0.0], [-0.0, 0.0, 0.0], [NAN, 1.0, 1.0], [INF, 1.0, 0.0], [-INF, 1.0, 0.0], None, [1.0, None, 2.0], [1e200, 1.0, 1.0], [1e200, 2.0, 1.0], [1e-200, 0.0, 1e-170], [3.0, 3.0, 3.0], [3.0, 3.0, 3.0 + 1e-12], [1e8, 1e8, 1e-8], [1e8, 1e8, 0.0]]
+
+
+def odd(spark):
+    # Copies of each, ids out of order, in several tasks.
+    rows = [((i * 37 + 5) % 96, v) for i, v in enumerate(ODD * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    return df, df.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@pytest.mark.parametrize("k", [1, 5, 200])
+def test_ann_batch_equals_all_pairs(spark, sf, monkeypatch, k):
+    monkeypatch.setattr(search, "TILE", 7)
+    df, asks = odd(spark)
+    assert kept(K.ann_batch(df, asks, k, 3, tables=2)) == by_pairs(df, asks, k, K.planes(3, 4, 2))
+    assert kept(K.ann_batch(df.limit(0), asks, k, 3)) == kept(K.ann_batch(df, asks.limit(0), k, 3)) == []
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 150")
+    df = df.unionByName(df.withColumn("vec_id", F.col("vec_id") + 1000)).repartition(2)
+    asks = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert kept(K.ann_batch(df, asks, k, 64, tables=2)) == by_pairs(df, asks, k, K.planes(64, 4, 2))
+
+
+def test_ann_batch_moves_the_nearest_only(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").repartition(2)
+    asks = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(K, "_best", lambda df, k, id: df)
+    assert K.ann_batch(df, asks, 5, 64).count() <= 2 * asks.count() * 5
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 3), (1, 0), (7, 6), (100, 0)])
 def test_chunks(spark, size, overlap):
     texts = ["", "é" * 25, "hello world " * 5, "a", "x" * 10, None]

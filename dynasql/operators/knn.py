@@ -45,12 +45,7 @@ def _best(df: DataFrame, k: int, id: str) -> DataFrame:
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query (query_id, q) its k nearest rows."""
-
-    def answer(block: DataFrame) -> DataFrame:
-        met = df.select(F.col(id), F.col(vector)).join(F.broadcast(block))
-        return _best(met.select("query_id", id, V.distance(metric, F.col(vector), F.col("q")).alias("distance")), k, id)
-
-    return _by_block(queries.select("query_id", "q"), answer)
+    return _nearest(df, queries, k, metric, id, vector)
 
 
 def planes(size: int, bits: int, tables: int, seed: int = 5) -> list[list[list[float]]]:

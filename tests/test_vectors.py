@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -88,6 +90,45 @@ def test_ann_batch_moves_the_nearest_only(spark, sf, monkeypatch):
     assert K.ann_batch(df, asks, 5, 64).count() <= 2 * asks.count() * 5
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("k", [1, 5, 200])
+def test_knn_batch_equals_all_pairs(spark, sf, monkeypatch, k, metric):
+    monkeypatch.setattr(search, "TILE", 7)
+    monkeypatch.setattr(search, "ROWS", 13)
+    df, asks = odd(spark)
+    if metric == "cosine":
+        with pytest.raises(Exception, match="zero vector"):
+            K.knn_batch(df, asks, k, metric=metric).collect()
+        df, asks = (f.filter(F.coalesce(F.exists(c, lambda x: F.abs(x) > 1e-150), F.lit(True))) for f, c in ((df, "embedding"), (asks, "q")))
+    assert kept(K.knn_batch(df, asks, k, metric=metric)) == by_pairs(df, asks, k, metric=metric)
+    assert kept(K.knn_batch(df.filter("embedding IS NULL"), asks, k, metric=metric)) == by_pairs(df.filter("embedding IS NULL"), asks, k, metric=metric)
+
+
+def test_knn_batch_ids_of_text_and_lengths(spark):
+    df = spark.createDataFrame([(i, [float(len(i or "")), 1.0]) for i in ["b", "a", "é", "z", None, "aa", "B"]], "vec_id string, embedding array<float>")
+    asks = df.select(F.upper("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = lambda f: sorted(map(str, f.collect()))
+    far = df.crossJoin(asks).select("query_id", "vec_id", V.distance("l2", F.col("embedding"), F.col("q")).alias("distance"))
+    want = far.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter("rank <= 3")
+    assert rows(K.knn_batch(df, asks, 3)) == rows(want)
+    with pytest.raises(Exception, match="length"):
+        K.knn_batch(df, spark.createDataFrame([(1, [1.0])], "query_id long, q array<double>"), 3).collect()
+
+
+def test_knn_batch_compares_pairs_by_blocks(spark, sf):
+    """Only the pairs that a bound lets through get exact distances; before, each pair did, by itself."""
+    rows = np.random.default_rng(1).normal(size=(4000, 64))
+    near = search.Nearest(pa.array(range(80)), pa.array(list(rows[:80])), 5, "l2")
+    taken, far = [], near._far
+    near._far = lambda rows, query, row: taken.append(len(row)) or far(rows, query, row)
+    for at in range(0, 4000, 1000):
+        near.add(pa.array(range(at, at + 1000)), pa.array(list(rows[at : at + 1000])))
+    assert sum(taken) <= 80 * 5 * 4 and near.found.to_pylist()[::5] == list(range(80))
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asks = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert "NestedLoop" not in K.knn_batch(df, asks, 5)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 3), (1, 0), (7, 6), (100, 0)])
 def test_chunks(spark, size, overlap):
     texts = ["", "é" * 25, "hello world " * 5, "a", "x" * 10, None]

@@ -10,6 +10,7 @@ from dynasql.functions import vectors as V
 from dynasql.operators import knn as K
 from dynasql.operators import search
 from dynasql.operators.chunking import chunk_text
+from dynasql.plans import api_queries
 from dynasql.streaming.windows import stream_table, windowed_counts, write_stream
 
 
@@ -129,6 +130,17 @@ def test_knn_batch_compares_pairs_by_blocks(spark, sf):
     assert "NestedLoop" not in K.knn_batch(df, asks, 5)._jdf.queryExecution().toString()
 
 
+def test_ann_recall_ranks_the_nearest_of_tasks_only(spark, sf, monkeypatch):
+    ranked, best = [], K._best
+    monkeypatch.setattr(K, "_best", lambda df, k, id: ranked.append(df) or best(df, k, id))
+    got = {r.query_id: r.recall for r in api_queries.ann_recall(spark, sf).collect()}
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asks = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert len(ranked) == 2 and all(f.count() <= df.rdd.getNumPartitions() * asks.count() * 5 for f in ranked)
+    exact, found = ({r[0:3:2] for r in kept(f)} for f in (K.knn_batch(df, asks, 5), K.ann_batch(df, asks, 5, 64)))
+    assert got == {q: len({p for p in exact & found if p[0] == q}) / 5 for q, _ in exact}
+
+
 @pytest.mark.parametrize("size,overlap", [(10, 3), (1, 0), (7, 6), (100, 0)])
 def test_chunks(spark, size, overlap):
     texts = ["", "é" * 25, "hello world " * 5, "a", "x" * 10, None]
